@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import jaccard_join, secret_scan
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,3 +40,8 @@ reach(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT s.b, r.s
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(seen) AS c FROM reach GROUP BY node) m ON m.node = d.doc_id
 """
+
+
+@_query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
