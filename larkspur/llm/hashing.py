@@ -44,7 +44,7 @@ LOWER[0x41:0x5B] += 32
 _powers = np.cumprod(np.concatenate([np.ones(1, U), np.full(4095, 0x100000001B3, U)]))
 
 
-def text_chunks(column: pa.Array, most_bytes: int = 2 << 20):
+def text_chunks(column: pa.Array, most_bytes: int = 512 << 10):
     """(first row, bytes, offsets) of slices of about most_bytes; a longer row makes a slice of its own.
 
     Nulls count as empty texts. Memory is bounded by most_bytes or the longest text.

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -39,6 +40,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """df, a staged table, marked for broadcast if its stored files are proven to be small; else as it is.
+
+    Compressed integers grow less than tenfold in memory.
+    """
+    size = sum(stored_bytes(df.sparkSession, f) for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+    return broadcast(df) if size <= most_bytes else df
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of the files under a path, as the file system that holds it tells."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
