@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, quality_rules, secret_scan
+from . import decontaminate, jaccard_join, mixing, quality_rules, secret_scan
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,3 +71,8 @@ FROM dw LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw
 @_query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@_query
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
