@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, quality_rules, secret_scan
+from . import decontaminate, jaccard_join, mixing, quality_rules, secret_scan, token_counts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,3 +76,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@_query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file:
+        data = file.read()
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), data, "json")
