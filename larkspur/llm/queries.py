@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, quality_rules, secret_scan, token_counts
+from . import decontaminate, jaccard_join, mixing, quality_rules, secret_scan, token_counts, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -85,3 +85,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file:
         data = file.read()
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), data, "json")
+
+
+@_query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digests_ok")
