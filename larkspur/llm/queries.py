@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, quality_rules, secret_scan, token_counts, warc
+from . import decontaminate, jaccard_join, mixing, quality_rules, secret_scan, site_tree, token_counts, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,3 +90,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digests_ok")
+
+
+@_query
+def op8_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(_read(spark, sf_dir, "pages"))
