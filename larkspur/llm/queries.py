@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, quality_rules, secret_scan, site_tree, token_counts, warc
+from . import decontaminate, embedding_dedup, jaccard_join, mixing, quality_rules, secret_scan, site_tree, token_counts, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # batches of rows with whole texts go to Python workers, whose memory they bound
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(2_000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -95,3 +97,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_tree.extract(_read(spark, sf_dir, "pages"))
+
+
+@_query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), 0.93)
