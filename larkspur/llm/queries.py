@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard_join, mixing, quality_rules, secret_scan, site_tree, token_counts, warc
+from . import decontaminate, embedding_dedup, jaccard_join, mixing, quality_rules, secret_scan, site_tree, substring_dedup, token_counts, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,3 +102,8 @@ def op8_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), 0.93)
+
+
+@_query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
