@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embedding_dedup, jaccard_join, mixing, quality_rules, secret_scan, site_tree, substring_dedup, token_counts, warc
+from .scratch import bounded_batches
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # batches of rows with whole texts go to Python workers, whose memory they bound
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(2_000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -61,10 +61,20 @@ def mark() -> int:
     return len(_made)
 
 
-def release(since: int = 0) -> None:
-    """Delete the intermediate tables made since mark(); only for results that have been written out."""
-    while len(_made) > since:
-        spark, path = _made.pop()
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Rows of whole texts go to Python workers in batches, whose size bounds the workers' memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, min(rows, int(spark.conf.get(key))))
+
+
+def release(since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the intermediate tables made since mark() but for those that the tables of keep are read from."""
+    kept = {f for df in keep for f in df.inputFiles()}
+    gone, _made[since:] = _made[since:], []
+    for spark, path in reversed(gone):
+        if any(path.rsplit("/", 1)[1] in f for f in kept):
+            _made.append((spark, path))
+            continue
         try:
             jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
