@@ -27,55 +27,56 @@ PENALTY = 0.003
 SEED = 7
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text; a ratio over nothing is 0."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t).cast("double")
+def _let(value: Column, then) -> Column:
+    """then(value) with value computed once, however often it is used and wherever a filter pushes the result."""
+    return F.transform(F.array(value), then)[0]
 
-    def ratio(a: Column, b: Column) -> Column:
-        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
-    def share(pattern: str) -> Column:
-        return ratio(F.regexp_count(t, F.lit(pattern)).cast("double"), n)
+def statistics(text: Column) -> Column:
+    """A struct of the statistics of _NAMES; a ratio over nothing is 0."""
 
-    words = F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    lines = F.split(t, "\n")
-
-    def of_words(w: Column) -> Column:
-        count = F.size(w).cast("double")
-        repeats = F.size(F.filter(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: a == b), lambda x: x))
-        return F.struct(count.alias("count"), ratio(F.size(F.array_distinct(w)).cast("double"), count).alias("distinct"), ratio(repeats.cast("double"), count).alias("repeats"))
+    def ratio(a: Column, b: Column) -> Column:
+        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
-    return {
-        "s_length": F.log1p(n),
-        "s_upper": share("[\\p{Lu}]"),
-        "s_letters": share("[\\p{L}]"),
-        "s_digits": share("[0-9]"),
-        "s_stops": share("[.,]"),
-        "s_bangs": share("!"),
-        "s_marks": share("[#$%&*<>@^~=+_{}\\[\\]\\\\]"),
-        "s_bars": share("[|]"),
-        "s_line": ratio(F.size(F.array_distinct(lines)).cast("double"), F.size(lines).cast("double")),
-        "s_lines": ratio(F.size(lines).cast("double"), n),
-        "_words": F.transform(F.array(words), of_words)[0],
-    }
+    def count(x: Column) -> Column:
+        return F.size(x).cast("double")
+
+    def parts(t: Column) -> Column:
+        words = F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+        return F.struct(t.alias("t"), F.length(t).cast("double").alias("n"), words.alias("words"), F.split(t, "\n").alias("lines"))
+
+    def of(x: Column) -> Column:
+        t, n, words, lines = x["t"], x["n"], x["words"], x["lines"]
+
+        def share(pattern: str) -> Column:
+            return ratio(F.regexp_count(t, F.lit(pattern)).cast("double"), n)
+
+        most = F.greatest(F.size(words) - 1, F.lit(0))
+        repeats = F.filter(F.zip_with(F.slice(words, 1, most), F.slice(words, 2, most), lambda a, b: a == b), lambda v: v)
+        found = {
+            "s_length": F.log1p(n),
+            "s_upper": share("[\\p{Lu}]"),
+            "s_letters": share("[\\p{L}]"),
+            "s_digits": share("[0-9]"),
+            "s_stops": share("[.,]"),
+            "s_bangs": share("!"),
+            "s_marks": share("[#$%&*<>@^~=+_{}\\[\\]\\\\]"),
+            "s_bars": share("[|]"),
+            "s_line": ratio(count(F.array_distinct(lines)), count(lines)),
+            "s_lines": ratio(count(lines), n),
+            "s_words": F.log1p(count(words)),
+            "s_word_length": ratio(n, count(words)),
+            "s_distinct": ratio(count(F.array_distinct(words)), count(words)),
+            "s_repeats": ratio(count(repeats), count(words)),
+        }
+        return F.struct(*[found[name].alias(name) for name in _NAMES])
+
+    return _let(_let(F.coalesce(text, F.lit("")), parts), of)
 
 
 _NAMES = ["s_length", "s_upper", "s_letters", "s_digits", "s_stops", "s_bangs", "s_marks", "s_bars", "s_line", "s_lines", "s_words", "s_word_length", "s_distinct", "s_repeats"]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs with the columns of _NAMES added."""
-    out = docs.withColumns(statistics(F.col("text")))
-    count = F.col("_words.count")
-    return out.withColumns({
-        "s_words": F.log1p(count),
-        "s_word_length": F.when(count > 0, F.length(F.coalesce("text", F.lit(""))) / count).otherwise(F.lit(0.0)),
-        "s_distinct": F.col("_words.distinct"),
-        "s_repeats": F.col("_words.repeats"),
-    }).drop("_words")
-
-
 @dataclass(frozen=True)
 class Condition:
     """name <= cut, or name > cut."""
@@ -84,8 +85,8 @@ class Condition:
     above: bool
     cut: float
 
-    def column(self) -> Column:
-        return F.col(self.name) > self.cut if self.above else F.col(self.name) <= self.cut
+    def column(self, x: Column) -> Column:
+        return x[self.name] > self.cut if self.above else x[self.name] <= self.cut
 
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.name] > self.cut if self.above else x[self.name] <= self.cut
@@ -98,12 +99,13 @@ class RuleModel:
     intercept: float
     rules: list[tuple[float, frozenset[Condition]]]
 
-    def column(self) -> Column:
+    def column(self, x: Column) -> Column:
+        """The score from a struct of statistics."""
         total = F.lit(float(self.intercept))
         for weight, rule in self.rules:
             held = None
             for c in sorted(rule, key=lambda c: (c.name, c.above, c.cut)):
-                held = c.column() if held is None else held & c.column()
+                held = c.column(x) if held is None else held & c.column(x)
             total = total + F.when(held, F.lit(float(weight))).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
@@ -209,13 +211,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> R
     some = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", "quality").orderBy(*order).limit(sample_rows)
     some = stage(some, "labelled-sample")  # at most sample_rows rows
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    rows = with_statistics(rows).drop("text").orderBy(*order, "s_length", "s_distinct").limit(sample_rows).toPandas()
+    rows = rows.select("doc_id", "quality", statistics(F.col("text")).alias("s")).select("doc_id", "quality", "s.*")
+    rows = rows.orderBy(*order, "s_length", "s_distinct").limit(sample_rows).toPandas()
     return fit_rules({name: rows[name].to_numpy(np.float64) for name in _NAMES}, rows["quality"].to_numpy(np.float64))
 
 
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
     """docs with score added: whole texts, no shuffle. Null texts score as empty ones."""
-    return with_statistics(docs).withColumn("score", model.column()).select(*docs.columns, "score")
+    return docs.select("*", _let(statistics(F.col("text")), model.column).alias("score"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
