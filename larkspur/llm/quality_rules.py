@@ -20,7 +20,7 @@ SAMPLE_ROWS = 20_000
 TREES = 40
 DEPTH = 3
 BINS = 64
-LEAST_LEAF = 25
+LEAST_LEAF = 25  # of small samples a fiftieth, at least 2
 SHRINKAGE = 0.15
 #: The lasso's penalty as a part of the smallest penalty at which no rule is left.
 PENALTY = 0.003
@@ -114,7 +114,8 @@ def _grow(bins: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.
     """A regression tree by second-order gains; adds each node's path to rules and the leaves' values to out."""
     g, h = grad[rows].sum(), hess[rows].sum()
     best = (1e-6, None)
-    if depth and len(rows) >= 2 * LEAST_LEAF:
+    least = min(LEAST_LEAF, max(2, len(grad) // 50))
+    if depth and len(rows) >= 2 * least:
         for f in range(bins.shape[1]):
             b = bins[rows, f]
             width = len(edges[f]) + 1
@@ -122,7 +123,7 @@ def _grow(bins: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.
             hl = np.cumsum(np.bincount(b, hess[rows], width))[:-1]
             nl = np.cumsum(np.bincount(b, minlength=width))[:-1]
             gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
-            gain[(nl < LEAST_LEAF) | (len(rows) - nl < LEAST_LEAF)] = 0
+            gain[(nl < least) | (len(rows) - nl < least)] = 0
             if len(gain) and gain.max() > best[0]:
                 best = (gain.max(), (f, int(gain.argmax())))
     if best[1] is None:
@@ -137,7 +138,7 @@ def _grow(bins: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.
 
 
 def fit_rules(x: dict[str, np.ndarray], y: np.ndarray) -> RuleModel:
-    """Fit on statistics x and labels y of 0 and 1; without both labels the model is the smoothed share of 1."""
+    """Fit on statistics x and labels y of 0 and 1; without both labels, or any split, the model is the smoothed share of 1."""
     prior = (y.sum() + 1) / (len(y) + 2)
     if len(np.unique(y)) < 2:
         return RuleModel(float(np.log(prior / (1 - prior))), [])
@@ -166,6 +167,8 @@ def fit_rules(x: dict[str, np.ndarray], y: np.ndarray) -> RuleModel:
             sample = held & np.isin(np.arange(len(y)), rows, assume_unique=True)
             value[held] = out[sample].mean() if sample.any() else 0
         score += SHRINKAGE * np.clip(value, -4, 4)
+    if not rules:
+        return RuleModel(float(np.log(prior / (1 - prior))), [])
     ordered = sorted(rules, key=lambda r: sorted((c.name, c.above, c.cut) for c in r))
     hold = np.ones((len(y), len(ordered)), np.float32)
     for j, rule in enumerate(ordered):
