@@ -151,6 +151,11 @@ def spans(text: Column, rejected: list[float]) -> Column:
     return _let(F.struct(base_spans(text).alias("base"), candidates(text).alias("tested")), extra)
 
 
+def _count(spans_: Column, kind: int) -> Column:
+    """Number of findings of a kind. The lambda has one parameter: Spark gives a second one the element's index."""
+    return F.size(F.filter(spans_, lambda x: x["k"] == kind)).cast("long")
+
+
 def _joined(spans_: Column) -> Column:
     kind = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans_, lambda x: F.concat_ws(":", F.get(kind, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
@@ -166,7 +171,7 @@ def scan(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     found = docs.select("doc_id", spans(F.coalesce("text", F.lit("")), cuts(docs)).alias("f"))
     base = F.col("f.base")
-    number = [F.size(F.filter(base, lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    number = [_count(base, k).alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *number, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("f.all")).alias("spans"))
 
 

@@ -191,6 +191,7 @@ def test_secrets(spark, docs, empty):
         spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
         joined = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
         assert out[r.doc_id].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert (out[r.doc_id].n_assign, out[r.doc_id].n_access, out[r.doc_id].n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
         found += len(spans)
     assert found >= 5 and secret_scan.scan(empty).count() == 0
     clean = {r.doc_id: r.text for r in secret_scan.redact(given).collect()}
