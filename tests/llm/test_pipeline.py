@@ -7,6 +7,34 @@ from larkspur.llm.scratch import stage
 D = "/root/testdata/sf0.001"
 
 
+def _low(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def _leaders(rows):
+    """doc_ids that stay: the smallest of each group linked by 5-word shingles of Jaccard similarity 0.8 and more."""
+    sets = []
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", _low(r.text))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for r, g in zip(rows, group):
+        least[g] = r.doc_id if g not in least else min(least[g], r.doc_id)
+    return least.values()
+
+
+def _windows(text, n=None):
+    """Runs of n words; of a benchmark item (no n) of 10, or all of its words where it has fewer."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _low(text))
+    n = n or min(10, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     docs = docs.unionByName(docs.where("doc_id < 5")).unionByName(spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", "s", 0)], docs.schema))
@@ -20,7 +48,10 @@ def test_stages(spark):
         if name != "mix":
             assert docs.columns == columns
         if name == "near_duplicates":
-            assert max(ids.values()) == 1
+            assert max(ids.values()) == 1 and ids == collections.Counter(_leaders(before.collect()))
+        if name == "decontaminate":
+            items = {w for r in spark.read.parquet(f"{D}/benchmark.parquet").collect() for w in _windows(r.text)}
+            assert ids == collections.Counter(r.doc_id for r in before.collect() if not any(w in items for n in {len(w) for w in items} for w in _windows(r.text, n)))
         if name == "secrets":
             assert ids == was
             assert not [r for r in docs.collect() if re.search("AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", r.text or "")]
