@@ -10,7 +10,7 @@ import re
 import numpy as np
 import pytest
 
-from larkspur.llm import decontaminate, embedding_dedup, jaccard_join, mixing, quality_rules, secret_scan, site_tree, substring_dedup, token_counts, warc
+from larkspur.llm import decontaminate, embedding_dedup, jaccard_join, mixing, quality_rules, secret_scan, site_tree, skew, substring_dedup, token_counts, warc
 from larkspur.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, th string, key string, n string"
@@ -314,3 +314,10 @@ def test_chains_follow_both_orders():
     at, to = [0, 10, 20, 30, 40, 400], [100, 110, 5, 131, 140, 500]
     best = substring_dedup.chains(at, to)[0]
     assert best == [0, 1, 3, 4]
+
+
+def test_hot_seeds_give_the_same_passages(docs, monkeypatch):
+    plain = sorted(map(str, substring_dedup.repeated_passages(docs).collect()))
+    monkeypatch.setattr(skew, "LEAST_ROWS", 1)
+    monkeypatch.setattr(skew, "HOT_PARTS", 10**6)
+    assert sorted(map(str, substring_dedup.repeated_passages(docs).collect())) == plain
