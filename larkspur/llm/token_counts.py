@@ -96,7 +96,8 @@ def token_counts(docs: DataFrame, data: bytes, kind: str = "json", limit: int =
         known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version)
         wanted = wanted.join(known.select("digest"), "digest", "left_anti")
     take = stage(wanted, "to-encode")
-    marked = keyed.join(take.select("digest", F.col("owner").alias("first")), "digest", "left")
+    # joins stand in stages of their own, where Spark can split a digest of very many rows
+    marked = stage(keyed.join(take.select("digest", F.col("owner").alias("first")), "digest", "left"), "marked")
     skip = stage(marked.where("first is null or first <> owner").select("digest", "owner").distinct(), "known")
     if small(take) is not take:
         misses = rows.join(small(take), ["digest", "owner"], "left_semi")
@@ -105,5 +106,5 @@ def token_counts(docs: DataFrame, data: bytes, kind: str = "json", limit: int =
     else:
         misses = rows.join(take, ["digest", "owner"], "left_semi")
     _encoded(misses, data, kind).write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = stage(spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
