@@ -321,3 +321,21 @@ def test_hot_seeds_give_the_same_passages(docs, monkeypatch):
     monkeypatch.setattr(skew, "LEAST_ROWS", 1)
     monkeypatch.setattr(skew, "HOT_PARTS", 10**6)
     assert sorted(map(str, substring_dedup.repeated_passages(docs).collect())) == plain
+
+
+def _two_documents(spark, a, b):
+    rows = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
+    found = substring_dedup.repeated_passages(rows).collect()
+    return sorted((r.start, r.end, r.partner_start, r.partner_end) if r.doc_id == 1 else (r.partner_start, r.partner_end, r.start, r.end) for r in found)
+
+
+def test_passages_around_different_text_are_both_found(spark):
+    own = iter(f"u{i}" for i in range(10_000))
+
+    def fresh(n):
+        return [next(own) for _ in range(n)]
+
+    head, foot = fresh(60), fresh(60)
+    assert _two_documents(spark, head + fresh(60) + foot, head + fresh(60) + foot) == [(0, 60, 0, 60), (120, 180, 120, 180)]
+    assert _two_documents(spark, head + fresh(60) + foot, head + fresh(90) + foot) == [(0, 60, 0, 60), (120, 180, 150, 210)]
+    assert _two_documents(spark, head + fresh(20) + foot, head + fresh(20) + foot) == [(0, 140, 0, 140)]
