@@ -339,3 +339,18 @@ def test_passages_around_different_text_are_both_found(spark):
     assert _two_documents(spark, head + fresh(60) + foot, head + fresh(60) + foot) == [(0, 60, 0, 60), (120, 180, 120, 180)]
     assert _two_documents(spark, head + fresh(60) + foot, head + fresh(90) + foot) == [(0, 60, 0, 60), (120, 180, 150, 210)]
     assert _two_documents(spark, head + fresh(20) + foot, head + fresh(20) + foot) == [(0, 140, 0, 140)]
+
+
+def test_fuzzy_passages_are_found(spark):
+    rng = random.Random(8)
+    rows, n = [], 60
+    for i in range(n):
+        own = iter(f"d{i}x{j}" for j in range(1000))
+        passage = [next(own) for _ in range(50)]
+        changed = list(passage)
+        for j in rng.sample(range(1, 49), 8):
+            changed[j] = next(own)
+        for k, words in enumerate((passage, changed)):
+            rows.append((2 * i + k, " ".join([next(own) for _ in range(80)] + words + [next(own) for _ in range(80)])))
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id // 2 for r in out if r.doc_id // 2 == r.partner_id // 2}) >= 0.95 * n
