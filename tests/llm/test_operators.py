@@ -354,3 +354,19 @@ def test_fuzzy_passages_are_found(spark):
             rows.append((2 * i + k, " ".join([next(own) for _ in range(80)] + words + [next(own) for _ in range(80)])))
     out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len({r.doc_id // 2 for r in out if r.doc_id // 2 == r.partner_id // 2}) >= 0.95 * n
+
+
+def test_passage_made_of_pieces_of_earlier_documents_is_found(spark):
+    own = iter(f"v{i}" for i in range(10**6))
+
+    def fresh(n):
+        return [next(own) for _ in range(n)]
+
+    earlier, later, n = [], [], 50
+    for _ in range(n):
+        passage = fresh(66)  # the earlier documents' pieces of 39 words overlap by 12
+        earlier += [fresh(30) + p + fresh(30) for p in (passage[:39], passage[27:])]
+        later += [fresh(30) + passage + fresh(30) for _ in range(2)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(earlier + later)]
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id for r in out if r.doc_id == r.partner_id + 1 >= 2 * n and r.doc_id % 2}) >= 0.9 * n
