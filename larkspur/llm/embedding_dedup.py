@@ -24,6 +24,8 @@ from .streams import binary_parts, bounds, groups, sorted_groups
 TREES = 8
 #: Share of a node's vectors on either side of its split that go to both halves.
 SPILL = 0.10
+#: Least half width of what spills, in distances at the wanted cosine; a node of which a larger share spills is a leaf.
+MARGIN, MOST_SPILT = 0.5, 0.5
 #: Trees are deep enough for leaves of about so many vectors of the most frequent label, as far as the sample goes.
 LEAF = 400
 #: Vectors of the sample; with their dimensions they bound the driver's memory.
@@ -71,8 +73,13 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def fit_forest(sample: np.ndarray, depth: int, trees: int = TREES) -> list[dict]:
-    """Per tree: node number -> (direction, lower, upper) of inner nodes; children of node n are 2 n + 1 and 2 n + 2."""
+def fit_forest(sample: np.ndarray, depth: int, least: float, trees: int = TREES) -> list[dict]:
+    """Per tree: node number -> (direction, lower, upper) of inner nodes; children of node n are 2 n + 1 and 2 n + 2.
+
+    What spills is at least as wide as MARGIN times the distance of unit vectors of cosine least; a node of which more
+    than MOST_SPILT would spill is as narrow as that distance, and stays whole.
+    """
+    reach = MARGIN * math.sqrt(max(0.0, 2 - 2 * least))
     rng = np.random.default_rng(SEED)
     forest = []
     for _ in range(trees):
@@ -84,7 +91,10 @@ def fit_forest(sample: np.ndarray, depth: int, trees: int = TREES) -> list[dict]
                 continue
             direction = rng.standard_normal(sample.shape[1])
             place = sample[rows] @ direction
-            lower, upper = np.quantile(place, [0.5 - SPILL, 0.5 + SPILL])
+            lower, middle, upper = np.quantile(place, [0.5 - SPILL, 0.5, 0.5 + SPILL])
+            lower, upper = min(lower, middle - reach), max(upper, middle + reach)
+            if ((place >= lower) & (place <= upper)).mean() > MOST_SPILT:
+                continue
             nodes[node] = (direction, float(lower), float(upper))
             todo += [(2 * node + 1, rows[place <= upper], level + 1), (2 * node + 2, rows[place >= lower], level + 1)]
         forest.append(nodes)
@@ -224,7 +234,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     total = reps.count()
     depth = max(0, math.ceil(math.log2(max(1, most / LEAF))))
     some = reps.select("dim", "vec").where(F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(max(1, -(-total // SAMPLE)))) == 0).orderBy(F.xxhash64("rid")).limit(SAMPLE).toPandas()
-    forests = {int(dim): fit_forest(unit_rows(np.stack([np.frombuffer(v, np.float64) for v in part["vec"]])), depth) for dim, part in some.groupby("dim")}
+    forests = {int(dim): fit_forest(unit_rows(np.stack([np.frombuffer(v, np.float64) for v in part["vec"]])), depth, least) for dim, part in some.groupby("dim")}
 
     leaves = stage(_leaves(reps, forests), "leaves")
     group = ["label", "dim", "code"]

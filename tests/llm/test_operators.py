@@ -370,3 +370,18 @@ def test_passage_made_of_pieces_of_earlier_documents_is_found(spark):
     rows = [(i, " ".join(w)) for i, w in enumerate(earlier + later)]
     out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len({r.doc_id for r in out if r.doc_id == r.partner_id + 1 >= 2 * n and r.doc_id % 2}) >= 0.9 * n
+
+
+def test_forest_keeps_the_links_of_a_large_group():
+    rng = np.random.default_rng(0)
+    n, group = 30_000, 10_000
+    x = np.concatenate([rng.standard_normal((1, 64)) + 0.25 * rng.standard_normal((group, 64)), rng.standard_normal((n - group, 64))])
+    x = embedding_dedup.unit_rows(x)
+    forest = embedding_dedup.fit_forest(x[rng.choice(n, 20_000, replace=False)], 7, 0.93)
+    a, b = rng.integers(0, group, (2, 3000))
+    near = (a != b) & ((x[a] * x[b]).sum(axis=1) >= 0.93)
+    leaves = []
+    for rows in (a[near], b[near]):
+        row, code = embedding_dedup.route(forest, x[rows])
+        leaves.append(set(zip(row.tolist(), code.tolist())))
+    assert near.sum() > 1000 and len({row for row, _ in leaves[0] & leaves[1]}) >= 0.98 * near.sum()
