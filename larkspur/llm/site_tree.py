@@ -161,13 +161,15 @@ def _parsed(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(parsed: DataFrame) -> DataFrame:
-    """(host, path) of the branches to prune: of importance below LEAST_IMPORTANCE on at least LEAST_PAGES pages."""
+    """(host, path) of the branches to prune: of importance below LEAST_IMPORTANCE on at least LEAST_PAGES different pages."""
+    # pages of equal blocks and layouts count once, however many copies the host has
+    parsed = parsed.select("host", F.xxhash64("blocks", "layout").alias("row"), "blocks", "layout")
     blocks = parsed.select("host", "row", F.explode("blocks").alias("b")).where("not b.free").select("host", "row", "b.path", F.xxhash64("b.text").alias("content"))
     blocks = blocks.distinct()
     pages = blocks.select("host", "path", "row").distinct().groupBy("host", "path").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
     spread = blocks.groupBy("host", "path", "content").agg(F.count("*").alias("c"))
     content = spread.join(pages, ["host", "path"]).groupBy("host", "path").agg(F.first("m").alias("m"), (1 - F.avg(F.log("c") / F.log("m"))).alias("content"))
-    styles = parsed.select("host", "row", F.explode("layout").alias("l")).groupBy("host", "l.path", "l.digest").agg(F.count("*").alias("c"))
+    styles = parsed.select("host", "row", F.explode("layout").alias("l")).select("host", "row", "l.path", "l.digest").distinct().groupBy("host", "path", "digest").agg(F.count("*").alias("c"))
     total = styles.groupBy("host", "path").agg(F.sum("c").alias("n"))
     p = F.col("c") / F.col("n")
     presented = styles.join(total, ["host", "path"]).where("n > 1").groupBy("host", "path").agg((-F.sum(p * F.log(p) / F.log("n"))).alias("presentation"))

@@ -385,3 +385,10 @@ def test_forest_keeps_the_links_of_a_large_group():
         row, code = embedding_dedup.route(forest, x[rows])
         leaves.append(set(zip(row.tolist(), code.tolist())))
     assert near.sum() > 1000 and len({row for row, _ in leaves[0] & leaves[1]}) >= 0.98 * near.sum()
+
+
+def test_html_of_copies_keeps_its_text(spark):
+    pages = [(i, "http://h/%d" % i, f"<div class=post><p>main text {i % 2}</div>", "h") for i in range(100)]
+    pages += [(200 + i, "http://one/", "<div class=post><p>the same</div>", "one") for i in range(4)]
+    out = site_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string, c string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"main text {i % 2}" for i in range(100)} | {200 + i: "the same" for i in range(4)}
