@@ -4,7 +4,8 @@ Pages of one host are merged into a tree of element nodes, named by their path o
 presentation importance (the entropy of the ways its children are laid out over the host's pages, to the base of the
 number of pages) and a content importance (1 less the mean entropy of each content's spread over the pages: text that
 stands in every page has entropy 1). Branches whose composite importance is low are taken out of every page of the
-host. Elements whose tag, role or class says that they are no main text (menus, headers, footers, adverts, ...) have
+host. The plain text elements of articles share their paths with the text itself, so there each repeated block is
+judged alone. Elements whose tag, role or class says that they are no main text (menus, headers, footers, adverts, ...) have
 importance 0 on any host, and where a page marks its article, nothing outside it counts.
 
 Pages are parsed in Python, one at a time; merging, entropies and pruning are DataFrame aggregates with partial sums
@@ -130,7 +131,7 @@ def parse(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[
 
 
 def _free(path: str) -> bool:
-    """Whether a path goes on from its article by plain text elements alone; such branches are the text itself."""
+    """Whether a path goes on from its article by plain text elements alone; such branches are judged block by block."""
     names = path.split("/")
     for i, name in enumerate(names):
         if name.split(".")[0] in ("article", "main"):
@@ -178,6 +179,19 @@ def low_branches(parsed: DataFrame) -> DataFrame:
     return both.where(importance < LEAST_IMPORTANCE).select("host", "path")
 
 
+def low_texts(parsed: DataFrame) -> DataFrame:
+    """(host, block) of the plain blocks of articles to prune: digests of path and text that recur over the host's pages.
+
+    Such a block is a branch's leaf of its own: its content importance is 1 - log c / log m, for c of the m different
+    pages with that path.
+    """
+    parsed = parsed.select("host", F.xxhash64("blocks", "layout").alias("row"), "blocks")
+    blocks = parsed.select("host", "row", F.explode("blocks").alias("b")).where("b.free").select("host", "row", F.xxhash64("b.path").alias("path"), F.xxhash64("b.path", "b.text").alias("block")).distinct()
+    pages = blocks.select("host", "path", "row").distinct().groupBy("host", "path").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
+    held = blocks.groupBy("host", "path", "block").agg(F.count("*").alias("c")).where("c > 1")
+    return held.join(pages, ["host", "path"]).where(1 - F.log("c") / F.log("m") < LEAST_IMPORTANCE).select("host", "block")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars per row of pages (page_id, url, html; more columns are ignored).
 
@@ -187,12 +201,14 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.coalesce(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))
     parsed = stage(_parsed(pages).select("page_id", "url", F.lower(host).alias("host"), "blocks", "layout").withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
-    low = stage(low_branches(parsed).groupBy("host").agg(F.collect_set("path").alias("low")), "low-branches")
+    branches = low_branches(parsed).select("host", "path", F.lit(None).cast("long").alias("block"))
+    texts = low_texts(parsed).select("host", F.lit(None).cast("string").alias("path"), "block")
+    low = stage(branches.unionByName(texts).groupBy("host").agg(F.collect_set("path").alias("low"), F.collect_set("block").alias("repeated")), "low-branches")
     if small(low) is not low:
         joined = parsed.join(small(low), "host", "left")
     else:
         salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = parsed.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    kept = F.filter("blocks", lambda b: b["free"] | F.col("low").isNull() | ~F.array_contains("low", b["path"]))
+    kept = F.filter("blocks", lambda b: F.col("low").isNull() | F.when(b["free"], ~F.array_contains("repeated", F.xxhash64(b["path"], b["text"]))).otherwise(~F.array_contains("low", b["path"])))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -392,3 +392,9 @@ def test_html_of_copies_keeps_its_text(spark):
     pages += [(200 + i, "http://one/", "<div class=post><p>the same</div>", "one") for i in range(4)]
     out = site_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string, c string")).collect()
     assert {r.page_id: r.text for r in out} == {i: f"main text {i % 2}" for i in range(100)} | {200 + i: "the same" for i in range(4)}
+
+
+def test_html_notice_inside_every_article_is_removed(spark):
+    pages = [(i, f"http://h/{i}", f"<article><p>text {i}<p>the site's notice<p>more {i}</article>") for i in range(6)]
+    out = site_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"text {i}\nmore {i}" for i in range(6)}
