@@ -14,6 +14,7 @@ before the shuffle, so a host of any size is never gathered.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html.parser import HTMLParser
 
@@ -41,6 +42,15 @@ PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table tbody thead
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def _short(path: str) -> str:
+    """A path itself, or of a long one a digest of the whole and its last 400 characters."""
+    return path if len(path) <= 440 else f"#{_digest(path)}/{path[-400:]}"
+
+
 class _Page(HTMLParser):
     """Blocks of text with the path of each, and each element's layout of children."""
 
@@ -86,10 +96,10 @@ class _Page(HTMLParser):
         boiler = tag in SKIPPED or bool(words & BOILERPLATE) or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
         if tag in ("html", "body", "article", "main") and not named.get("role"):
             boiler = False  # the page or its article as a whole is no boilerplate, whatever its class lists
-        name = ".".join([tag, *sorted(words)][:4])
+        name = ".".join([tag, *sorted(words)])
         article = parent[3] or tag in ("article", "main") or named.get("role", "").lower() == "main" or named.get("itemprop", "") == "articleBody"
         self.layout.setdefault(parent[1], []).append(name)
-        self.stack.append((tag, f"{parent[1]}/{name}"[-400:], parent[2] + boiler, article))
+        self.stack.append((tag, _short(f"{parent[1]}/{name}"), parent[2] + boiler, article))
         if block:
             self.at = self._where()
 
@@ -155,7 +165,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
                     marked = any(article and not skipped for _, skipped, article, _ in blocks)
                     kept = [{"path": p, "free": _free(p), "text": t} for p, skipped, article, t in blocks if not skipped and (article or not marked)]
                     seen = {b["path"] for b in kept if not b["free"]}
-                    rows.append((kept, [{"path": p, "digest": "|".join(c)[:200]} for p, c in layout.items() if p in seen]))
+                    rows.append((kept, [{"path": p, "digest": _digest("|".join(c))} for p, c in layout.items() if p in seen]))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([r[0] for r in rows], kinds[2]), pa.array([r[1] for r in rows], kinds[3])], names=names)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, _PARSED)

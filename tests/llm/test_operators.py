@@ -398,3 +398,17 @@ def test_html_notice_inside_every_article_is_removed(spark):
     pages = [(i, f"http://h/{i}", f"<article><p>text {i}<p>the site's notice<p>more {i}</article>") for i in range(6)]
     out = site_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in out} == {i: f"text {i}\nmore {i}" for i in range(6)}
+
+
+def test_html_long_paths_and_names_stay_apart():
+    deep = "<div class=level>" * 60 + "<p>x"
+    paths = [site_tree.parse(f"<div class='{c}'>{deep}")[0][0][0] for c in ("one", "two")]
+    assert paths[0] != paths[1] and all(len(p) < 500 for p in paths)
+    names = [site_tree.parse(f"<div class='a b c {c}'>x")[0][0][0] for c in ("d", "e")]
+    assert names[0] != names[1]
+
+
+def test_html_long_layouts_stay_apart(spark):
+    rows = [(i, "http://h/", "<div class=post>own text" + "<p>x</p>" * 300 + tail + "</div>") for i, tail in enumerate(("<p>y</p>", "<pre>y</pre>"))]
+    parsed = site_tree._parsed(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len({l.digest for r in parsed for l in r.layout if l.path == "/div.post"}) == len(parsed)
