@@ -1,4 +1,4 @@
-"""Streams of events: windowed counts with a watermark, and upserts of a change log."""
+"""Streams of events: windowed counts with a watermark."""
 
 from __future__ import annotations
 
