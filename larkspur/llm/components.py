@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def _directed(edges: DataFrame) -> DataFrame:
     """Each edge once, from the larger to the smaller node."""
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def united_rows(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root after uniting the trees of i and j; each row points to the smallest row of its tree."""
+    while len(i):
+        a, b = root[i], root[j]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        changed = low != high
+        if not changed.any():
+            break
+        np.minimum.at(root, high[changed], low[changed])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+        i, j = i[changed], j[changed]
+    return root

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, united_rows
 from .scratch import stage
 from .streams import binary_parts, bounds, groups, sorted_groups
 
@@ -187,7 +187,7 @@ def _compared(members: DataFrame, least: float) -> DataFrame:
                             first &= ~(earlier & (held[b] == here[:, None]).any(axis=1))
                         np.add.at(links, a[first], n[s + b[first]])
                         np.add.at(links, b[first], n[s + a[first]])
-                    root = _united(root, i, j)
+                    root = united_rows(root, i, j)
                 some = np.flatnonzero(links)
                 star = np.flatnonzero(root != np.arange(m))
                 a = np.concatenate([rid[s + some], rid[s + star]])
@@ -197,24 +197,6 @@ def _compared(members: DataFrame, least: float) -> DataFrame:
     return sorted_groups(members, keys).mapInArrow(run, "a long, b long, w long")
 
 
-def _united(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """root after uniting the trees of i and j; each row points to the smallest row of its tree."""
-    while len(i):
-        a, b = root[i], root[j]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        changed = low != high
-        if not changed.any():
-            break
-        np.minimum.at(root, high[changed], low[changed])
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-        i, j = i[changed], j[changed]
-    return root
-
-
 def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept per row of vectors (vec_id, embedding, label; more columns are ignored).
 

@@ -93,7 +93,7 @@ def test_signature_trees_lose_no_pair():
     sets = [np.unique(np.concatenate([base[: rng.integers(200, 300)], rng.integers(0, 2**48, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(150)]
     sets.sort(key=len)
     size = np.array([len(s) for s in sets])
-    found = {(i, j) for a, b in jaccard_join.candidates(size, [jaccard_join.bitmap(s, 2) for s in sets], np.arange(150), 85) for i, j in zip(a.tolist(), b.tolist())}
+    found = {(i, j) for a, b in jaccard_join.candidates(size, [jaccard_join.bitmap(s, 2) for s in sets], 85) for i, j in zip(a.tolist(), b.tolist())}
     true = {(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
     assert true and true <= found
 
