@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one of our own only where the setting is absent (tests)."""
+    """The cluster's shared folder; where the setting is absent, one of our own in local mode (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -61,6 +64,11 @@ def mark() -> int:
     return len(_made)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are written, which it does when the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Rows of whole texts go to Python workers in batches, whose size bounds the workers' memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
