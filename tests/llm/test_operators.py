@@ -412,3 +412,20 @@ def test_html_long_layouts_stay_apart(spark):
     rows = [(i, "http://h/", "<div class=post>own text" + "<p>x</p>" * 300 + tail + "</div>") for i, tail in enumerate(("<p>y</p>", "<pre>y</pre>"))]
     parsed = site_tree._parsed(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len({l.digest for r in parsed for l in r.layout if l.path == "/div.post"}) == len(parsed)
+
+
+def test_no_chain_that_can_be_aligned_is_passed_over():
+    rng = np.random.default_rng(4)
+    a, oa, at, to, b, ob = [], [0], [], [], [], [0]
+    for i in range(400):
+        x, y = rng.integers(0, 2**32, (2, rng.integers(45, 125))).astype("<u4")
+        y = y[: rng.integers(45, len(y) + 1)]
+        n = min(len(x), len(y))
+        same = rng.random(n) < rng.choice([0.02, 0.6, 0.85])
+        y[:n][same] = x[:n][same]
+        place = int(rng.integers(0, n - 5))
+        y[place : place + 5] = x[place : place + 5]
+        a.append(x), b.append(y), oa.append(oa[-1] + len(x)), ob.append(ob[-1] + len(y)), at.append(place), to.append(place)
+    gone = substring_dedup._hopeless(np.concatenate(a), np.array(oa), np.concatenate(b), np.array(ob), np.array(at), np.array(to), np.arange(401), 32)
+    found = [bool(substring_dedup.align(x, y, [i], [j], 40, 0.8)) for x, y, i, j in zip(a, b, at, to)]
+    assert gone.sum() > 50 and sum(found) > 50 and not any(g and f for g, f in zip(gone, found))
