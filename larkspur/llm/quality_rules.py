@@ -219,17 +219,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> R
     return fit_rules({name: rows[name].to_numpy(np.float64) for name in _NAMES}, rows["quality"].to_numpy(np.float64))
 
 
-def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """docs with score added: whole texts, no shuffle. Null texts score as empty ones."""
-    return docs.select("*", _let(statistics(F.col("text")), model.column).alias("score"))
+def score(text: Column, model: RuleModel) -> Column:
+    """A whole text's score, without a shuffle. Null texts score as empty ones."""
+    return _let(statistics(text), model.column)
 
 
 def quality(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted (1 from cut on).
 
-    Null and empty texts get the score of a text without words; repeated rows get equal scores; no labels give the
-    constant 0.5; no rows give no rows.
+    Null and empty texts get the score of a text without words; long texts count whole; repeated rows get equal scores;
+    no labels give the constant 0.5; more columns are ignored; no rows give no rows.
     """
     rows = docs.select("doc_id", "text")
-    out = scored(rows, fit(rows, labels.select("doc_id", "quality")))
+    model = fit(rows, labels.select("doc_id", "quality"))
+    out = rows.select("doc_id", score(F.col("text"), model).alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -165,8 +165,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text; more columns are ignored).
 
     n_assign, n_access, n_hex count the base findings, base_sha256 digests their places, spans lists all findings as
-    kind:start:end in code points. Null and empty texts have none: counts 0, spans ''. Repeated rows give repeated
-    results; no rows give no rows. Nothing is shuffled but the counts behind the cuts.
+    kind:start:end in code points. Null and empty texts have none: counts 0, spans ''. Long texts are scanned whole. Findings
+    of equal start come in the order of KINDS. Repeated rows give repeated results; no rows give no rows. Nothing is shuffled but the counts behind the cuts.
     """
     docs = docs.select("doc_id", "text")
     found = docs.select("doc_id", spans(F.coalesce("text", F.lit("")), cuts(docs)).alias("f"))
@@ -189,10 +189,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
         return _let(F.aggregate(x["all"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add), lambda a: F.concat(a["out"], F.substring(x["text"], a["at"] + 1, F.length(x["text"]))))
 
-    found = docs.withColumn("_secret_spans", spans(F.coalesce("text", F.lit("")), cuts(docs.select("text")))["all"])
-    some = F.size("_secret_spans") > 0
-    text = F.when(some, _let(F.struct(F.col("text").alias("text"), F.col("_secret_spans").alias("all")), rebuilt)).otherwise(F.col("text"))
-    out = found.withColumn("text", text).drop("_secret_spans")
+    found = spans(F.coalesce("text", F.lit("")), cuts(docs.select("text")))["all"]
+    text = _let(F.struct(F.col("text").alias("text"), found.alias("all")), lambda x: F.when(F.size(x["all"]) > 0, rebuilt(x)).otherwise(x["text"]))
+    out = docs.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,8 @@
 import collections
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from larkspur.llm.scratch import stage
 
@@ -64,3 +66,19 @@ def test_stages_on_an_empty_table(spark):
     for _, apply in pipeline.STAGES:
         docs = stage(apply(spark, docs, D), "nothing")
     assert docs.count() == 0
+
+
+def test_stages_with_clashing_columns_and_a_long_text(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    clash = ["score", "total", "rows", "copies", "place", "d", "_row_id", "_row_text", "_secret_spans", "_stays", "all", "rid", "component", "n", "s", "x"]
+    long = " ".join(f"w{i * i % 9973}" for i in range(60_000))
+    docs = docs.where("doc_id % 3 = 0").unionByName(spark.createDataFrame([(10**9, long, "en", "s", len(long)), (10**9 + 1, long, "en", "s", len(long))], docs.schema))
+    docs = docs.unionByName(docs.where("doc_id = 0")).select("*", *[F.lit(f"own {c}").alias(c) for c in clash])
+    columns = docs.columns
+    for name, apply in pipeline.STAGES:
+        docs = stage(apply(spark, docs, D), name)
+        if name != "mix":
+            assert docs.columns == columns
+            assert all(r[c] == f"own {c}" for r in docs.limit(5).collect() for c in clash)
+        assert docs.where("doc_id = 1000000001").count() == 0 or name == "quality"
+    assert sorted(docs.columns) == sorted(columns) and set(dict(docs.dtypes)[c] for c in ("copies",)) == {"bigint"} and docs.count() > 0
