@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all rows that its predecessor kept, and
 its result is written as Parquet and read back as the next stage's docs. Tables that a stage needs on the way are
 deleted before it returns, but for its list of decisions.
+
+For every stage: null and empty texts are texts without words, long ones are read whole, rows that are equal in id and
+text are told apart by nothing and so are dealt with as a number of rows, further columns pass through whatever their
+names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from larkspur.llm.scratch import bounded_batches, mark, release, stage
 #: Word shingles and similarity (percent) of the near-duplicate stage.
 SHINGLE, SIMILAR = 5, 80
 QUALITY_CUT = 0.7
+#: A column that near_duplicates adds for a while; documents may not have one of this name.
+STAYS = "larkspur near duplicate stays"
 
 #: Learned rules, iterated components and rounded mixtures are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -29,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores QUALITY_CUT or more; the others go."""
     bounded_batches(spark)
     model = quality_rules.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality_rules.scored(docs, model).where(F.col("score") >= QUALITY_CUT).select(*docs.columns)
+    return docs.where(quality_rules.score(F.col("text"), model) >= QUALITY_CUT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     release(since, keep=(gone, some))
     out = rows.without(docs, gone)
     if some.limit(1).count():
-        part = rows.counted(docs, some, "_stays").where("_stays = 1").select(*docs.columns)
+        part = rows.counted(docs, some, STAYS).where(F.col(STAYS) == 1).drop(STAYS)
         out = rows.without(out, some.select(*rows.KEYS)).unionByName(part)
     return out
 
@@ -68,7 +74,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: documents with the number of copies that it takes, 1 to 3; those it takes none of go."""
+    """The mixture: documents with the number of copies that it takes, 1 to 3; those it takes none of go. A column copies is replaced."""
     bounded_batches(spark)
     since = mark()
     taken = mixing.mix(docs)
