@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import dataframe, relational, tpch
+from .plans import dataframe, engine, relational, tpch
 from .sources.tables import TABLES
 from .sources.views import DERIVED, expand, run_sql
 
@@ -26,8 +26,8 @@ def _sql_query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _sql_query(sql) for name, sql in SQL.items()} | dataframe.QUERIES
+    return {name: _sql_query(sql) for name, sql in SQL.items()} | dataframe.QUERIES | engine.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: expand(sql, "duckdb") for name, sql in SQL.items()} | dataframe.ORACLE_SQL
+    return {name: expand(sql, "duckdb") for name, sql in SQL.items()} | dataframe.ORACLE_SQL | engine.ORACLE_SQL

@@ -18,14 +18,37 @@ CREATE_FROM = 0.30
 STORAGE_COST_PER_GIB = 0.05
 
 
-def column_statistics(df: DataFrame, exact: bool = True) -> DataFrame:
-    """(column_name, row_count, ndv, null_count, min_value, max_value): one pass over df, one row for each column."""
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in df.columns:
-        aggs += [distinct(F.col(c)).alias(f"d_{c}"), F.count(c).alias(f"c_{c}"), F.min(c).cast("string").alias(f"lo_{c}"), F.max(c).cast("string").alias(f"hi_{c}")]
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col("n").alias("row_count"), F.col(f"d_{c}").alias("ndv"), (F.col("n") - F.col(f"c_{c}")).alias("null_count"), F.col(f"lo_{c}").alias("min_value"), F.col(f"hi_{c}").alias("max_value")) for c in df.columns]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+def column_statistics(df: DataFrame, exact: bool = True, sample_rows: int | None = None) -> DataFrame:
+    """(column_name, row_count, ndv, null_count, min_value, max_value, null_fraction): one row for each column.
+
+    Exact distinct counts take a scan of the one column each, since several in one aggregate would repeat every row for
+    each column; approximate ones take one scan. sample_rows: of so many of the first rows alone.
+    """
+    df = df if sample_rows is None else df.limit(sample_rows)
+
+    def of(columns: list[str], distinct) -> DataFrame:
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for c in columns:
+            aggs += [distinct(F.col(c)).alias(f"d_{c}"), F.count(c).alias(f"c_{c}"), F.min(c).cast("string").alias(f"lo_{c}"), F.max(c).cast("string").alias(f"hi_{c}")]
+        nulls = {c: F.col("n") - F.col(f"c_{c}") for c in columns}
+        rows = [F.struct(F.lit(c).alias("column_name"), F.col("n").alias("row_count"), F.col(f"d_{c}").alias("ndv"), nulls[c].alias("null_count"), F.col(f"lo_{c}").alias("min_value"), F.col(f"hi_{c}").alias("max_value"), F.when(F.col("n") > 0, nulls[c] / F.col("n")).alias("null_fraction")) for c in columns]
+        return df.select(*columns).agg(*aggs).select(F.inline(F.array(*rows)))
+
+    if not exact:
+        return of(df.columns, F.approx_count_distinct)
+    parts = [of([c], F.count_distinct) for c in df.columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def merged_statistics(*parts: DataFrame) -> DataFrame:
+    """Statistics of parts of a table as one: rows add up, distinct counts are the largest, null fractions the mean, bounds the widest."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.groupBy("column_name").agg(F.sum("row_count").alias("row_count"), F.max("ndv").alias("ndv"), F.avg("null_fraction").alias("null_fraction"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"))
 
 
 @dataclass

@@ -30,6 +30,7 @@ QUERIES |= {
     "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%red%' OR p_brand LIKE 'Brand#1_'",
     "filter_not_like": "SELECT p_partkey, p_type FROM part WHERE p_type NOT LIKE 'PROMO%'",
     "filter_ilike": "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE 'economy%' OR p_name ILIKE '%RED%'",
+    "filter_not_ilike": "SELECT p_partkey, p_type FROM part WHERE p_type NOT ILIKE 'econ%'",
     "filter_and_or_not": "SELECT o_orderkey, o_orderstatus FROM orders WHERE (o_orderstatus = 'F' OR o_orderstatus = 'O') AND NOT (o_totalprice < 1000)",
     "filter_null_logic": "SELECT n_nationkey, nullif(n_regionkey, 2) = nullif(n_regionkey, 2) AS eq_self, (nullif(n_regionkey, 2) = 1 OR n_nationkey > 10) AS either, nullif(n_regionkey, 2) IN (1, NULL) AS in_null FROM nation WHERE nullif(n_regionkey, 2) IS NULL OR nullif(n_regionkey, 3) IS NOT NULL",
     "case_searched": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS bucket FROM orders",
@@ -62,7 +63,7 @@ QUERIES |= {
     "agg_bundle": f"SELECT l_returnflag, {total('l_extendedprice')} AS s, {count('l_extendedprice')} AS n, {mean('l_extendedprice')} AS a, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY l_returnflag ORDER BY l_returnflag",
     # sort and limit
     "order_multi": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey DESC, c_acctbal ASC, c_custkey",
-    "order_nulls": "SELECT n_nationkey, nullif(n_regionkey, 2) AS r FROM nation ORDER BY nullif(n_regionkey, 2) ASC NULLS LAST, n_nationkey LIMIT 21",
+    "order_nulls": "SELECT n_nationkey, nullif(n_regionkey, 2) AS r FROM nation ORDER BY nullif(n_regionkey, 2) ASC NULLS LAST, n_nationkey",
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "limit_offset": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 30",
     # joins
@@ -101,7 +102,7 @@ QUERIES |= {
     "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey > 40",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
-    "setop_nested_ordered": "SELECT k FROM ((SELECT n_nationkey AS k FROM nation UNION SELECT 100) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0) u ORDER BY k DESC LIMIT 12",
+    "setop_nested_ordered": "SELECT k FROM ((SELECT n_nationkey AS k FROM nation UNION SELECT 100) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0) u ORDER BY k DESC",
     # windows
     "win_row_number": "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn FROM orders",
     "win_rank": "SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS r FROM customer",

@@ -38,8 +38,7 @@ def test_equals_duckdb(spark, duck, name):
 
 
 @pytest.mark.parametrize("sql, state", [
-    ("SELECT 1; SELECT 2", "42601"), ("", "42601"), ("BEGIN", "0A000"), ("SELECT sum(x) OVER (ORDER BY x ROWS 2 PRECEDING) FROM t", "0A000"),
-    ("SELECT rank() OVER w FROM t WINDOW w AS (ORDER BY x)", "0A000"), ("CREATE TABLE t (a INT PRIMARY KEY)", "0A000"),
+    ("SELECT 1; SELECT 2", "42601"), ("", "42601"), ("BEGIN", "0A000"), ("CREATE TABLE t (a INT PRIMARY KEY)", "0A000"),
 ])
 def test_gate_rejects(sql, state):
     with pytest.raises(gate.Rejected) as e:
