@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from datetime import date
 from decimal import Decimal
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,9 +92,18 @@ def parsed(spark: SparkSession, sql: str):
     return plan
 
 
-def rejected(e: PySparkException) -> Rejected:
+def rejected(e: PySparkException | Py4JJavaError) -> Rejected:
+    """The refusal of a statement that failed; errors of Java alone are read from their first cause that has a condition."""
+    message = str(e)
+    if isinstance(e, Py4JJavaError):
+        cause = e.java_exception
+        while cause is not None and not hasattr_java(cause, "getCondition"):
+            cause = cause.getCause()
+        if cause is None:
+            return Rejected("XX000", message.strip().split("\n")[0])
+        e, message = cause, cause.getMessage()
     condition = (e.getCondition() or "").split(".")[0]
-    return Rejected(SQLSTATES.get(condition, e.getSqlState() or "XX000"), str(e).strip().split("\n")[0])
+    return Rejected(SQLSTATES.get(condition, e.getSqlState() or "XX000"), message.strip().split("\n")[0])
 
 
 def with_parameters(sql: str) -> str:
@@ -142,5 +152,5 @@ def collected(df: DataFrame) -> list:
     """A result's rows; errors while it runs are reported under their SQLSTATE."""
     try:
         return df.collect()
-    except PySparkException as e:
+    except (PySparkException, Py4JJavaError) as e:
         raise rejected(e) from e
