@@ -1,16 +1,17 @@
 """WARC archives: a writer, and a sequential reader that frames, decompresses and verifies record by record.
 
 Archives are real .warc.gz files with one gzip member for each record, written by the tasks themselves through
-pyarrow's file systems (file, hdfs, s3 and others by the path's scheme) under temporary names that are renamed at the
-end: a task that runs again writes the same bytes to the same name. The reader holds one record's block and a chunk of
-compressed bytes at a time.
+pyarrow's file systems (file, hdfs, s3 and others by the path's scheme). Their names hold the task's attempt, and the
+list of archives is a table that Spark commits: a task that runs again, perhaps with its rows in another order, writes
+archives of its own, and those of attempts that were lost or beaten stand in no list. The reader holds one record's
+block and a chunk of compressed bytes at a time. It takes records of any type and origin: header lines that go on in
+the next line, HTTP messages without a length or in chunks, digests of other algorithms or none.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -101,30 +102,98 @@ class Member:
 
     def finish(self) -> bytes:
         """Check that nothing follows in the member; the stream's bytes after it."""
-        while not self._inflate.eof:
-            self._fill()
+        while not self._out and self._fill():
+            pass
         if self._out:
             raise ValueError("a record is longer than its Content-Length")
         return self._inflate.unused_data
 
 
+def agrees(stated: str | None, data: bytes) -> bool:
+    """Whether data has the digest stated as algorithm:value (base32 or hexadecimal; bare ones are SHA-1).
+
+    Nothing stated, and an algorithm that isn't known, can't disagree.
+    """
+    algorithm, _, value = (stated or "").strip().rpartition(":")
+    algorithm = algorithm.lower().replace("-", "") or "sha1"
+    if not value or algorithm not in hashlib.algorithms_guaranteed or algorithm.startswith("shake"):
+        return True
+    raw = hashlib.new(algorithm, data).digest()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode("ascii").rstrip("=")
+
+
+def fields(lines: list[str]) -> dict[str, str]:
+    """Headers by lower-case names; a line that starts with white space goes on from the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] = f"{out[name]} {line.strip()}"
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def unchunked(body: bytes) -> bytes:
+    """The content of a chunked HTTP body; a body that isn't whole chunks stays as it is."""
+    pieces, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(body[at:end].partition(b";")[0], 16)
+        except ValueError:
+            return body
+        if n == 0:
+            return b"".join(pieces)
+        if n < 0 or body[end + 2 + n : end + 4 + n] != b"\r\n":
+            return body
+        pieces.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return body
+
+
+def payload(headers: dict[str, str], block: bytes) -> tuple[bytes | None, int | None, bool]:
+    """(payload, its full size, whether size and digest agree with the headers) of a record.
+
+    Of an HTTP message the payload is its body, without the marks of chunks; of resource and conversion records it is
+    the block; other records have none. A revisit's payload isn't there: its size is what the kept HTTP header
+    states, if it does. A record marked as truncated may be shorter than stated and differ from its digest.
+    """
+    kind, stated = headers.get("warc-type", ""), headers.get("warc-payload-digest")
+    if kind in ("resource", "conversion"):
+        return block, len(block), "warc-truncated" in headers or agrees(stated, block)
+    http = headers.get("content-type", "").lower().startswith("application/http")
+    if kind not in ("response", "request", "revisit") or not http:
+        return None, None, True
+    head, _, body = block.partition(b"\r\n\r\n")
+    told = fields(head.decode("utf-8", "replace").split("\r\n")[1:])
+    length = told.get("content-length", "")
+    size = int(length) if length.isascii() and length.isdigit() else None
+    if kind == "revisit":
+        return None, size, True
+    raw, chunked = body, "chunked" in told.get("transfer-encoding", "").lower()
+    if chunked:
+        body = unchunked(body)
+    whole = chunked or size is None or len(body) == size
+    return body, len(body), "warc-truncated" in headers or (whole and (agrees(stated, body) or (chunked and agrees(stated, raw))))
+
+
 def read_records(stream, chunk: int = CHUNK) -> Iterator[dict]:
     """Headers (lower-case names), block, and whether the digests agree, for each record in turn."""
     for member in members(stream, chunk):
         if not member.line().startswith(b"WARC/1."):
             raise ValueError("not a WARC record")
-        headers = {}
+        lines = []
         while (line := member.line()) != b"\r\n":
-            name, _, value = line[:-2].decode("utf-8").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        sha, pieces = hashlib.sha1(), []
-        for piece in member.take(int(headers["content-length"])):
-            sha.update(piece)
-            pieces.append(piece)
+            lines.append(line[:-2].decode("utf-8", "replace"))
+        headers = fields(lines)
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError("a record without Content-Length")
+        block = b"".join(member.take(int(headers["content-length"])))
         if b"".join(member.take(4)) != b"\r\n\r\n":
             raise ValueError("a record doesn't end with two line ends")
-        stated = headers.get("warc-block-digest", "").removeprefix("sha1:")
-        yield {"headers": headers, "block": b"".join(pieces), "block_ok": not stated or base64.b32encode(sha.digest()).decode("ascii") == stated}
+        yield {"headers": headers, "block": block, "block_ok": agrees(headers.get("warc-block-digest"), block)}
 
 
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -134,20 +203,19 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         task = TaskContext.get().partitionId()
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        number, out, written, count = 0, None, 0, 0
-        attempt = f"{TaskContext.get().taskAttemptId()}"
+        number, name, out, written, count = 0, "", None, 0, 0
+        attempt = TaskContext.get().taskAttemptId()
         done = []
 
         def close():
             out.close()
-            name = f"{base}/pages-{task:06d}-{number:05d}.warc.gz"
-            fs.move(f"{name}.{attempt}.part", name)
-            done.append((f"{folder}/{os.path.basename(name)}", count))
+            done.append((f"{folder}/{name}", count))
 
         for batch in batches:
             for key, url, html, kind, refers_to in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "html", "record_type", "refers_to")), strict=True):
                 if out is None:
-                    out, written, count = fs.open_output_stream(f"{base}/pages-{task:06d}-{number:05d}.warc.gz.{attempt}.part", compression=None), 0, 0
+                    name = f"pages-{task:06d}-{attempt}-{number:05d}.warc.gz"
+                    out, written, count = fs.open_output_stream(f"{base}/{name}", compression=None), 0, 0
                 pack = zlib.compressobj(6, zlib.DEFLATED, 31)
                 data = record(kind, key, url, html.encode("utf-8"), refers_to)
                 data = pack.compress(data) + pack.flush()
@@ -170,8 +238,10 @@ _READ = "path string, record_id string, record_type string, uri string, refers_t
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records of the archives listed in column path, one archive after the other in a task.
 
-    payload_bytes is the full payload's size: of a revisit as the kept HTTP header states it. digests_ok: the block's
-    digest and, where the payload is there, its size and digest agree with the headers.
+    payload_bytes is the full payload's size: of a revisit as the kept HTTP header states it, null where there is no
+    payload or no size. payload holds responses' alone; payload_digest is what the record states, without its
+    algorithm if that is SHA-1. digests_ok: the block's digest and, where the payload is there, its size and digest
+    agree with the headers. Headers that a record lacks are null.
     """
 
     def run(batches):
@@ -183,12 +253,11 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 with fs.open_input_stream(name, compression=None, buffer_size=None) as stream:
                     for r in read_records(stream):
                         h = r["headers"]
-                        head, _, payload = r["block"].partition(b"\r\n\r\n")
-                        http = dict(x.lower().split(": ", 1) for x in head.decode("ascii").split("\r\n")[1:])
-                        size, stated = int(http["content-length"]), h["warc-payload-digest"].removeprefix("sha1:")
-                        ok = r["block_ok"] and (h["warc-type"] != "response" or (len(payload) == size and digest(payload) == stated))
-                        rows.append((path, h["warc-record-id"], h["warc-type"], h["warc-target-uri"], h.get("warc-refers-to"), stated, size, payload if with_payload and h["warc-type"] == "response" else None, ok))
-                        held += len(payload) if with_payload else 0
+                        data, size, ok = payload(h, r["block"])
+                        stated = h.get("warc-payload-digest")
+                        shown = data if with_payload and h.get("warc-type") == "response" else None
+                        rows.append((path, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), stated and stated.removeprefix("sha1:"), size, shown, ok and r["block_ok"]))
+                        held += len(shown or b"")
                         if held > 8 << 20 or len(rows) >= 5000:
                             yield _records(rows)
                             rows, held = [], 0
