@@ -6,7 +6,7 @@ number of pages) and a content importance (1 less the mean entropy of each conte
 stands in every page has entropy 1). Branches whose composite importance is low are taken out of every page of the
 host. The plain text elements of articles share their paths with the text itself, so there each repeated block is
 judged alone. Elements whose tag, role or class says that they are no main text (menus, headers, footers, adverts, ...) have
-importance 0 on any host, and where a page marks its article, nothing outside it counts.
+importance 0 on any host, and where a page marks its article, nothing outside it counts (main_blocks tells the exceptions).
 
 Pages are parsed in Python, one at a time; merging, entropies and pruning are DataFrame aggregates with partial sums
 before the shuffle, so a host of any size is never gathered.
@@ -39,6 +39,11 @@ CLOSES_P = BLOCKS | SKIPPED & frozenset("form nav header footer aside dialog men
 BOILERPLATE = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion reader-comments related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets alert".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table tbody thead tfoot tr dl dt dd figure figcaption".split())
+#: Names that say no more than that an element holds something, and names of containers of main text.
+NEUTRAL = frozenset("area bar block box button buttons container content inner item items label link links list message outer section slot text title unit wrap wrapper".split())
+CONTENT = frozenset("body content entry post story".split())
+#: Elements of running text. One within an article is boilerplate only if all words of its class and id say so.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt figcaption".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -51,13 +56,17 @@ def _short(path: str) -> str:
     return path if len(path) <= 440 else f"#{_digest(path)}/{path[-400:]}"
 
 
+#: A skip by tag, role or attribute, and one by words of class or id alone. More than SURE - 1 of the latter count as sure.
+SURE, WORD = 1_000, 1
+
+
 class _Page(HTMLParser):
     """Blocks of text with the path of each, and each element's layout of children."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, int, bool]] = []  # tag, path, skip depth, inside an article
-        self.blocks: list[tuple[str, bool, bool, str]] = []  # path, skipped, inside an article, text
+        self.stack: list[tuple[str, str, int, bool]] = []  # tag, path, SURE or WORD added for each skip, inside an article
+        self.blocks: list[tuple[str, int, bool, str]] = []  # path, sum of skips, inside an article, text
         self.layout: dict[str, list[str]] = {}
         self.pieces: list[str] = []
         self.at = ("", 0, False, True)
@@ -67,7 +76,7 @@ class _Page(HTMLParser):
         self.pieces = []
         if text:
             path, skip, article, _ = self.at
-            self.blocks.append((path, skip > 0, article, text))
+            self.blocks.append((path, skip, article, text))
 
     def _where(self) -> tuple[str, int, bool, bool]:
         for tag, path, skip, article in reversed(self.stack):
@@ -93,13 +102,15 @@ class _Page(HTMLParser):
         named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "itemprop")}
         words = set(_WORDS.findall(f"{named.get('class', '')} {named.get('id', '')}".lower()))
         parent = self.stack[-1] if self.stack else ("", "", 0, False)
-        boiler = tag in SKIPPED or bool(words & BOILERPLATE) or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
+        article = parent[3] or tag in ("article", "main") or named.get("role", "").lower() == "main" or named.get("itemprop", "") == "articleBody"
+        named_so = bool(words & BOILERPLATE) and not (article and tag in TEXT and words - BOILERPLATE - NEUTRAL)
+        sure = tag in SKIPPED or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
+        skip = SURE if sure else WORD if named_so else 0
         if tag in ("html", "body", "article", "main") and not named.get("role"):
-            boiler = False  # the page or its article as a whole is no boilerplate, whatever its class lists
+            skip = 0  # the page or its article as a whole is no boilerplate, whatever its class lists
         name = ".".join([tag, *sorted(words)])
-        article = parent[3] or tag in ("article", "main") or named.get("role", "").lower() == "main" or named.get("itemprop", "") == "articleBody"
         self.layout.setdefault(parent[1], []).append(name)
-        self.stack.append((tag, _short(f"{parent[1]}/{name}"), parent[2] + boiler, article))
+        self.stack.append((tag, _short(f"{parent[1]}/{name}"), parent[2] + skip, article))
         if block:
             self.at = self._where()
 
@@ -131,8 +142,8 @@ class _Page(HTMLParser):
         self.pieces.append(data)
 
 
-def parse(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[str]]]:
-    """(blocks, layouts of children by path) of a page; broken markup is read as far as it goes."""
+def parse(html: str) -> tuple[list[tuple[str, int, bool, str]], dict[str, list[str]]]:
+    """(blocks with their skips, layouts of children by path) of a page; broken markup is read as far as it goes."""
     page = _Page()
     page.feed(html)
     page.close()
@@ -140,6 +151,36 @@ def parse(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[
     return page.blocks, page.layout
 
 
+def _in_content(path: str) -> bool:
+    """Whether an element above, outside any article, is named as a container of main text."""
+    for name in path.split("/"):
+        tag, *words = name.split(".")
+        if tag in ("article", "main"):
+            return False
+        if tag not in TEXT and CONTENT & set(words):
+            return True
+    return False
+
+
+def main_blocks(blocks: list[tuple[str, int, bool, str]]) -> list[tuple[str, str]]:
+    """(path, text) of the blocks that may be main text, before the site's tree is asked.
+
+    Where the page marks an article, those inside it; but where a container named as content stands apart from every
+    article and has more text than they, that, since such articles are teasers. Where words of classes and ids alone
+    would leave nothing of the whole page, they don't count within its article.
+    """
+    open_ = [b for b in blocks if not b[1]]
+    if not open_:
+        return [(p, t) for p, skip, article, t in blocks if article and skip < SURE]
+    inside = [b for b in open_ if b[2]]
+    if not inside:
+        return [(p, t) for p, _, _, t in open_]
+    apart = [b for b in open_ if not b[2] and _in_content(b[0])]
+    if sum(len(b[3]) for b in apart) > sum(len(b[3]) for b in inside) and not any(_in_content(b[0]) for b in inside):
+        inside = apart
+    return [(p, t) for p, _, _, t in inside]
+
+
 def _free(path: str) -> bool:
     """Whether a path goes on from its article by plain text elements alone; such branches are judged block by block."""
     names = path.split("/")
@@ -162,8 +203,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 rows = []
                 for html in part.column("html").to_pylist():
                     blocks, layout = parse(html)
-                    marked = any(article and not skipped for _, skipped, article, _ in blocks)
-                    kept = [{"path": p, "free": _free(p), "text": t} for p, skipped, article, t in blocks if not skipped and (article or not marked)]
+                    kept = [{"path": p, "free": _free(p), "text": t} for p, t in main_blocks(blocks)]
                     seen = {b["path"] for b in kept if not b["free"]}
                     rows.append((kept, [{"path": p, "digest": _digest("|".join(c))} for p, c in layout.items() if p in seen]))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([r[0] for r in rows], kinds[2]), pa.array([r[1] for r in rows], kinds[3])], names=names)

@@ -262,6 +262,46 @@ def test_warc_reader_refuses_damage():
             list(warc.read_records(io.BytesIO(bad)))
 
 
+def test_warc_reader_takes_any_record(spark, tmp_path):
+    import gzip
+
+    body = b"<p>chunks</p>"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nX-Long: a\r\n b\r\nno colon\r\n\r\n4;x=y\r\n<p>c\r\n9\r\nhunks</p>\r\n0\r\n\r\n"
+    plain = b"HTTP/1.0 200 OK\r\n\r\n" + body
+    http = "Content-Type: application/http; msgtype="
+    sha256 = f"WARC-Payload-Digest: sha-256:{hashlib.sha256(body).hexdigest()}"
+    wrong = f"WARC-Payload-Digest: sha1:{warc.digest(b'other')}"
+    cases = [  # kind, further headers, block; payload, payload_bytes, digests_ok
+        ("warcinfo", ["Content-Type: application/warc-fields"], b"software: x\r\n", None, None, True),
+        ("request", [f"{http}request"], b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", None, 0, True),
+        ("response", [f"{http}response", sha256], chunked, body, len(body), True),
+        ("response", [f"{http}response", f"WARC-Payload-Digest: md5:{hashlib.md5(body).hexdigest()}", "X-Folded: a", " b: c"], plain, body, len(body), True),
+        ("response", [f"{http}response", wrong], plain, body, len(body), False),
+        ("response", [f"{http}response", wrong, "WARC-Truncated: length"], plain, body, len(body), True),
+        ("response", ["Content-Type: text/dns", "WARC-Block-Digest: unknown:1"], b"h. 1 IN A 1.2.3.4", None, None, True),
+        ("revisit", [f"{http}response"], b"HTTP/1.1 304 Not Modified\r\n\r\n", None, None, True),
+        ("revisit", [f"{http}response"], b"", None, None, True),
+        ("resource", ["Content-Type: text/plain", sha256], body, None, len(body), True),
+        ("metadata", [], b"", None, None, True),
+    ]
+    data = b"".join(gzip.compress("\r\n".join(["WARC/1.0", f"WARC-Type: {k}", *h, f"content-length: {len(b)}"]).encode() + b"\r\n\r\n" + b + b"\r\n\r\n") for k, h, b, *_ in cases)
+    (tmp_path / "any.warc.gz").write_bytes(data)
+    got = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/any.warc.gz",)], "path string")).collect()
+    assert [(r.record_type, r.payload and bytes(r.payload), r.payload_bytes, r.digests_ok) for r in got] == [(k, *rest) for k, _, _, *rest in cases]
+
+
+def test_warc_archives_of_lost_attempts_are_not_listed(spark, tmp_path):
+    import os
+
+    rows = warc.with_revisits(spark.createDataFrame([(i, "u", f"page {i}") for i in range(50)], "page_id long, url string, html string"))
+    folder = f"file://{tmp_path}/w"
+    listed = [warc.write_archives(rows, folder) for _ in range(2)]
+    paths = [{r.path for r in t.collect()} for t in listed]
+    assert not paths[0] & paths[1] and len(os.listdir(f"{tmp_path}/w")) == len(paths[0] | paths[1])
+    for table in listed:
+        assert sorted(r.record_id for r in warc.read_archives(table).collect()) == sorted(f"<urn:page:{i}>" for i in range(50))
+
+
 def test_html(spark):
     note = "<div class=info>the same note</div>"
     pages = [(i, "http://h/%d" % i, f"<body><nav>menu</nav><div class=post><h1>T{i} &amp; x</h1><p>one\n two<br>three<p>four {i}</div>{note}<form>f</form>") for i in range(6)]
@@ -394,6 +434,20 @@ def test_html_of_copies_keeps_its_text(spark):
     assert {r.page_id: r.text for r in out} == {i: f"main text {i % 2}" for i in range(100)} | {200 + i: "the same" for i in range(4)}
 
 
+def test_html_words_of_classes_do_not_take_text_alone(spark):
+    cases = {
+        "<article><p class='share price'>The share price rose.</p><p class='ad-label'>Buy!</p><div class='share price'>x</div></article>": "The share price rose.",
+        "<article><p id='related work'>Others found it.</p></article>": "Others found it.",
+        "<nav>menu</nav><main><div id='widget'><p>All text.<form>f</form></div></main><div class=ad>ad</div>": "All text.",
+        "<main><p>text</p><div id='widget'>w</div></main>": "text",
+        "<article class=teaser>Read this</article><div class=content><p>The real text of the page.</p><div class=ad>x</div></div><p>end": "The real text of the page.",
+        "<div class=content><article>Short</article><p>much longer text outside</div>": "Short",
+        "<div class=ad><p>nothing else</p></div>": "",
+    }
+    df = spark.createDataFrame([(i, f"http://h{i}/", h) for i, h in enumerate(cases)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in site_tree.extract(df).collect()} == dict(enumerate(cases.values()))
+
+
 def test_html_notice_inside_every_article_is_removed(spark):
     pages = [(i, f"http://h/{i}", f"<article><p>text {i}<p>the site's notice<p>more {i}</article>") for i in range(6)]
     out = site_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
