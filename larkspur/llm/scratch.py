@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
+#: Spark deletes a query's shuffle files when the query ends, instead of when the driver happens to collect its garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -34,12 +36,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df once to the shared folder and read it back.
 
-    A lost executor then costs only the tasks it ran, since no later step recomputes what stands above.
+    A lost executor then costs only the tasks it ran, since no later step recomputes what stands above. The shuffle
+    files of the write are deleted at its end.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     return spark.read.schema(schema).parquet(path)
 
 
