@@ -483,3 +483,28 @@ def test_no_chain_that_can_be_aligned_is_passed_over():
     gone = substring_dedup._hopeless(np.concatenate(a), np.array(oa), np.concatenate(b), np.array(ob), np.array(at), np.array(to), np.arange(401), 32)
     found = [bool(substring_dedup.align(x, y, [i], [j], 40, 0.8)) for x, y, i, j in zip(a, b, at, to)]
     assert gone.sum() > 50 and sum(found) > 50 and not any(g and f for g, f in zip(gone, found))
+
+
+def test_straight_chains_align_the_same_many_at_once():
+    rng = np.random.default_rng(7)
+    a, b, at, to, first = [], [], [], [], [0]
+    for i in range(400):
+        n, m = rng.integers(8, 180, 2)
+        x, y = rng.integers(0, 9 if i % 3 else 10**6, n).astype(np.uint32), rng.integers(0, 9 if i % 3 else 10**6, m).astype(np.uint32)
+        p, q = int(rng.integers(0, n - 5)), int(rng.integers(0, m - 5))
+        own = min(p, q, 70) if i % 2 else 0
+        k = min(n - p, m - q) + own
+        y[q - own : q - own + k] = np.where(rng.random(k) < 0.12, y[q - own : q - own + k], x[p - own : p - own + k])
+        last = int(rng.integers(0, k - own - 4))
+        at.append([p, p + last] if last else [p])
+        to.append([q, q + last + (i % 5 == 0 and q + last + 6 <= m)] if last else [q])
+        a.append(x)
+        b.append(y)
+        first.append(first[-1] + len(at[-1]))
+    offsets = [np.append(0, np.cumsum([len(v) for v in z])) for z in (a, b)]
+    chains_, found = substring_dedup._straight(np.concatenate(a), offsets[0], np.concatenate(b), offsets[1], np.concatenate(at), np.concatenate(to), np.array(first), np.arange(400), 40, 0.8)
+    assert 50 < len(chains_) < 400
+    for i, row in zip(chains_.tolist(), found.tolist(), strict=True):
+        assert substring_dedup.align(a[i], b[i], at[i], to[i], 40, 0.8) == [tuple(row)]
+    none = np.zeros(0, np.int64)
+    assert [len(v) for v in substring_dedup._straight(np.concatenate(a), offsets[0], np.concatenate(b), offsets[1], np.concatenate(at), np.concatenate(to), np.array(first), none, 40, 0.8)] == [0, 0]
