@@ -508,3 +508,25 @@ def test_straight_chains_align_the_same_many_at_once():
         assert substring_dedup.align(a[i], b[i], at[i], to[i], 40, 0.8) == [tuple(row)]
     none = np.zeros(0, np.int64)
     assert [len(v) for v in substring_dedup._straight(np.concatenate(a), offsets[0], np.concatenate(b), offsets[1], np.concatenate(at), np.concatenate(to), np.array(first), none, 40, 0.8)] == [0, 0]
+
+
+def test_passage_whose_every_seed_stands_in_earlier_pieces_is_found(spark):
+    own = iter(f"z{i}" for i in range(10**6))
+
+    def fresh(n):
+        return [next(own) for _ in range(n)]
+
+    earlier, later, n = [], [], 20
+    for i in range(n):
+        passage = fresh(42)  # any 39 words of it stand in an earlier document
+        earlier += [fresh(30) + passage[k : k + 39] + fresh(30) for k in range(4)]
+        first = fresh(30) + passage + fresh(30)
+        if i % 2:  # the first of two documents has its seeds at another place before
+            first = passage[:39] + fresh(30) + passage[3:] + fresh(30) + first
+        later += [first, fresh(35) + passage + fresh(25)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(earlier + later)]
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    words = dict(rows)
+    assert {(r.doc_id, r.partner_id) for r in out} == {(i + 1, i) for i in range(4 * n, 6 * n, 2)}
+    for r in out:
+        assert words[r.doc_id].split()[r.start : r.end] == words[r.partner_id].split()[r.partner_start : r.partner_end] and r.matched == 42
