@@ -530,3 +530,33 @@ def test_passage_whose_every_seed_stands_in_earlier_pieces_is_found(spark):
     assert {(r.doc_id, r.partner_id) for r in out} == {(i + 1, i) for i in range(4 * n, 6 * n, 2)}
     for r in out:
         assert words[r.doc_id].split()[r.start : r.end] == words[r.partner_id].split()[r.partner_start : r.partner_end] and r.matched == 42
+
+
+def test_bent_chains_align_the_same_many_at_once():
+    rng = np.random.default_rng(9)
+    a, b, at, to, first = [], [], [], [], [0]
+    for i in range(1500):
+        few = 10 if i % 3 == 0 else 10**6
+        p, q, gap, other = (int(v) for v in (*rng.integers(0, 70, 2), *rng.integers(-6, 30, 2)))
+        n, m = max(p + 10 + gap, p + 5), max(q + 10 + other, q + 5)
+        x, y = rng.integers(0, few, n + int(rng.integers(0, 80))).astype(np.uint32), rng.integers(0, few, m + int(rng.integers(0, 80))).astype(np.uint32)
+        share = rng.choice([0.1, 0.7, 0.9])
+
+        def copy(f, g, length):
+            same = rng.random(length) < share
+            y[g : g + length] = np.where(same, x[f : f + length], y[g : g + length])
+
+        own, rest = min(p, q), min(len(x) - n, len(y) - m)
+        copy(p - own, q - own, own)
+        copy(n, m, rest)
+        copy(p + 5, q + 5, max(0, min(gap, other)))
+        y[q : q + 5] = x[p : p + 5]
+        if gap >= 0 and other >= 0:
+            y[m - 5 : m] = x[n - 5 : n]
+        a.append(x), b.append(y), at.extend([p, max(p + 5 + gap, 0)]), to.extend([q, max(q + 5 + other, 0)]), first.append(len(at))
+    offsets = [np.append(0, np.cumsum([len(v) for v in z])) for z in (a, b)]
+    inside = [i for i in range(1500) if 0 < at[2 * i + 1] - at[2 * i] and 0 < to[2 * i + 1] - to[2 * i] and at[2 * i + 1] + 5 <= len(a[i]) and to[2 * i + 1] + 5 <= len(b[i])]
+    chains_, found, none = substring_dedup._bent(np.concatenate(a), offsets[0], np.concatenate(b), offsets[1], np.array(at), np.array(to), np.array(first), np.array(inside), 40, 0.8)
+    assert len(chains_) > 100 and len(none) > 100 and not set(chains_.tolist()) & set(none.tolist())
+    for i, rows in [*((i, [tuple(r)]) for i, r in zip(chains_.tolist(), found.tolist(), strict=True)), *((i, []) for i in none.tolist())]:
+        assert substring_dedup.align(a[i], b[i], at[2 * i : 2 * i + 2], to[2 * i : 2 * i + 2], 40, 0.8) == rows
