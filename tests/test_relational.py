@@ -2,10 +2,11 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur import catalogue
 from larkspur.functions import gate, scalar
-from larkspur.operators import statistics, versioned
+from larkspur.operators import relational, statistics, versioned
 from larkspur.sources.tables import TABLES
 
 D = "/root/testdata/sf0.001"
@@ -95,3 +96,42 @@ def test_streaming_counts(spark, tmp_path):
     q = tumbling_counts(event_stream(spark, str(tmp_path / "in"), schema)).writeStream.outputMode("complete").format("memory").queryName("tumbled").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("tumbled").agg({"n": "sum"}).first()[0] == 1000
+
+
+def _pairs(rows):
+    return sorted(tuple(r) for r in rows.collect())
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 0])
+def test_paired_join_spreads_pairs_of_few_keys_over_tasks(spark, most_bytes):
+    left = spark.createDataFrame([(None if i % 10 == 9 else i % 10 // 4, i // 2) for i in range(600)], "k int, x long").coalesce(1)
+    right = spark.createDataFrame([(None if i % 7 == 6 else i % 7 // 3, i // 2) for i in range(70)], "k int, y long").coalesce(1)
+    want = _pairs(left.join(right, "k"))
+    for a, b in ((left, right), (right, left)):
+        out = relational.paired_join(a, b, ["k"], most_pairs=len(want) // 20, least_pairs=1, most_bytes=most_bytes)
+        assert out.columns == ["k", *(c for c in a.columns + b.columns if c != "k")]
+        assert _pairs(out.select("k", "x", "y")) == want
+        made = out.groupBy(F.spark_partition_id()).count().collect()
+        assert len(made) >= 8 and max(r["count"] for r in made) <= len(want) // 3
+
+
+def test_paired_join_of_little_or_nothing(spark):
+    left, right = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (2, "c")], "k int, x string"), spark.createDataFrame([(1, 5), (1, 6), (None, 7), (3, 8)], "k int, y int")
+    assert _pairs(relational.paired_join(left, right, ["k"])) == [(1, "a", 5), (1, "a", 5), (1, "a", 6), (1, "a", 6)]
+    assert _pairs(relational.paired_join(left.limit(0), right, ["k"])) == _pairs(relational.paired_join(left, right.where("k > 2"), ["k"])) == []
+
+
+@pytest.mark.parametrize("name", ["join_using", "join_self"])
+def test_joins_on_few_keys_run_in_many_tasks(spark, tmp_path, duck, name):
+    """Tables of one file each; their pairs were made by the task of the file."""
+    for t, key, nation, rows in (("customer", "c_custkey", "c_nationkey", 9_000), ("supplier", "s_suppkey", "s_nationkey", 9_000)):
+        spark.range(rows).select(F.col("id").alias(key), (F.col("id") % 23).cast("int").alias(nation)).toPandas().to_parquet(tmp_path / f"{t}.parquet")
+    out = catalogue.queries()[name](spark, str(tmp_path))
+    made = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    sql = catalogue.oracle_sql()[name]
+    for t in ("customer", "supplier"):
+        sql = sql.replace(f"FROM {t} a, {t} b", f"FROM '{tmp_path}/{t}.parquet' a, '{tmp_path}/{t}.parquet' b").replace(f"FROM {t})", f"FROM '{tmp_path}/{t}.parquet')")
+    columns = ", ".join(out.columns)
+    want = duck.execute(f"SELECT count(*), {', '.join(f'CAST(sum({c} * (1 + {i})) AS BIGINT)' for i, c in enumerate(out.columns))}, CAST(sum({out.columns[-1]} * {out.columns[-2]}) AS BIGINT) FROM (SELECT {columns} FROM ({sql}) q) r").fetchone()
+    got = out.selectExpr("count(*)", *[f"sum({c} * (1 + {i}))" for i, c in enumerate(out.columns)], f"sum({out.columns[-1]} * {out.columns[-2]})").first()
+    assert tuple(got) == want and len(made) >= 3
